@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
-from tesserine.runtime import table
+from tesserine.llm.leakage import leaks
+from tesserine.llm.mixing import count_tokens, mix, shares
+from tesserine.runtime import materialise, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +22,30 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(table(spark, sf_dir, "sources"), table(spark, sf_dir, "chunk_configs"), oversized_only=True)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat at least half of an evaluation item, with the item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return materialise(count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN), "tokens")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their copies."""
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in each mix."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return shares(mix(sized, targets), targets, sized)
+
+
 def queries():
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql():
