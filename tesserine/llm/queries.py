@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserine.llm.chunking import chunk
 from tesserine.llm.leakage import leaks
 from tesserine.llm.mixing import count_tokens, mix, shares
+from tesserine.llm.sentences import sentences
 from tesserine.runtime import materialise, table
 
 
@@ -44,8 +45,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mix(sized, targets), targets, sized)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents with their places."""
+    return sentences(table(spark, sf_dir, "documents")).select("doc_id", "start_pos", "end_pos")
+
+
 def queries():
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql():
