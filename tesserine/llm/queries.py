@@ -9,6 +9,7 @@ from tesserine.llm.chunking import chunk
 from tesserine.llm.leakage import leaks
 from tesserine.llm.mixing import count_tokens, mix, shares
 from tesserine.llm.sentences import sentences
+from tesserine.llm.turns import speaker_turns
 from tesserine.runtime import materialise, table
 
 
@@ -23,6 +24,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(table(spark, sf_dir, "sources"), table(spark, sf_dir, "chunk_configs"), oversized_only=True)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all transcripts with the number of their speaker."""
+    return speaker_turns(table(spark, sf_dir, "transcripts"), table(spark, sf_dir, "episodes")).select("transcript_id", "turn_no", "speaker_no")
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all transcripts with speaker, time and clean text."""
+    return speaker_turns(table(spark, sf_dir, "transcripts"), table(spark, sf_dir, "episodes"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that repeat at least half of an evaluation item, with the item."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -51,7 +62,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql():
