@@ -8,11 +8,30 @@ from pyspark.sql import functions as F
 from tesserine.llm.chunking import chunk
 from tesserine.llm.leakage import leaks
 from tesserine.llm.mixing import count_tokens, mix, shares
+from tesserine.llm.residue import residue
 from tesserine.llm.sentences import sentences
 from tesserine.llm.turns import speaker_turns
+from tesserine.llm.wrappers import main_bodies
 from tesserine.runtime import materialise, table
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Main bodies of all sources, and the residue among them."""
+    bodies = materialise(main_bodies(table(spark, sf_dir, "sources")), "bodies")
+    return bodies, materialise(residue(bodies).select("rec_id", "reason"), "excluded")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that belong to the page around the main body."""
+    bodies, excluded = _bodies(spark, sf_dir)
+    return bodies.join(excluded, "rec_id", "left_anti").select("rec_id", F.explode("chrome").alias("line_no"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to exclude: error pages, notices, filler and unfilled slots."""
+    return _bodies(spark, sf_dir)[1].select("rec_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts are cut under which config: those with more than one piece."""
     pieces = chunk(table(spark, sf_dir, "sources"), table(spark, sf_dir, "chunk_configs"), keep_text=False, oversized_only=True)
@@ -62,7 +81,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql():
