@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
+from tesserine.llm.history import fingerprint, repeats
 from tesserine.llm.leakage import leaks
 from tesserine.llm.mixing import count_tokens, mix, shares
 from tesserine.llm.residue import residue
@@ -27,6 +28,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.join(excluded, "rec_id", "left_anti").select("rec_id", F.explode("chrome").alias("line_no"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of new batches that repeat an earlier record, with the first one."""
+    bodies, excluded = _bodies(spark, sf_dir)
+    kept = bodies.join(excluded, "rec_id", "left_anti").join(table(spark, sf_dir, "sources").select("rec_id", "batch_no"), "rec_id")
+    kept = materialise(kept.select("rec_id", "batch_no", "body"), "kept")
+    return repeats(materialise(fingerprint(kept), "index"), kept)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to exclude: error pages, notices, filler and unfilled slots."""
     return _bodies(spark, sf_dir)[1].select("rec_id")
@@ -81,7 +90,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql():
