@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
 from tesserine.llm.history import fingerprint, repeats
+from tesserine.llm.languages import cached, languages, missing_labels, train
 from tesserine.llm.leakage import leaks
 from tesserine.llm.mixing import count_tokens, mix, shares
 from tesserine.llm.residue import residue
@@ -28,6 +29,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.join(excluded, "rec_id", "left_anti").select("rec_id", F.explode("chrome").alias("line_no"))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies, excluded = _bodies(spark, sf_dir)
+    model = train(table(spark, sf_dir, "documents"))
+    return cached(languages(bodies.join(excluded, "rec_id", "left_anti"), model))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose language label is missing or wrong, and lines in another language."""
+    return missing_labels(_languages(spark, sf_dir), table(spark, sf_dir, "sources"), table(spark, sf_dir, "syntheses"))
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every record and of each segment in another language."""
+    return _languages(spark, sf_dir)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of new batches that repeat an earlier record, with the first one."""
     bodies, excluded = _bodies(spark, sf_dir)
@@ -90,7 +107,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_turns": p6_turns, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql():
