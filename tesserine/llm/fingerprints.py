@@ -35,7 +35,7 @@ class Hasher:
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
