@@ -65,13 +65,13 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     rows = rows.join(F.broadcast(have.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")), "source", "left").fillna(0, ["available", "n_docs"])
     mix = Window.partitionBy("mix_name")
     usable = F.when(F.col("available") > 0, share).otherwise(F.lit(0.0))
-    rows = rows.withColumn("_share", usable).withColumn("_share", F.col("_share") / F.sum("_share").over(mix))
+    rows = rows.withColumn("_share", usable).withColumn("_share", F.try_divide("_share", F.sum("_share").over(mix)))
     rows = rows.withColumn("_share", F.coalesce("_share", F.lit(0.0)))
-    limit = F.when(F.col("_share") > 0, F.col("available") * F.col("max_repeats") / F.col("_share"))
+    limit = F.try_divide(F.col("available") * F.col("max_repeats"), F.col("_share"))
     rows = rows.withColumn("total", F.lit(total_tokens).cast("double") if total_tokens else F.min(limit).over(mix))
     most = F.col("available") * F.coalesce("max_repeats", F.lit(0))
     rows = rows.withColumn("budget", F.coalesce(F.least(F.floor(F.col("total") * F.col("_share") + 1e-6), most), F.lit(0)).cast("long"))
-    epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(F.lit(0)).cast("long")
+    epochs = F.when(F.col("available") > 0, F.floor(F.try_divide("budget", "available"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
     return rows.select("mix_name", "source", "target_share", "max_repeats", "available", "n_docs", "budget", "epochs", "rest")
 
@@ -111,5 +111,5 @@ def shares(mixed: DataFrame, targets: DataFrame, sized: DataFrame, total_tokens:
     rows = plan(sized, targets, total_tokens).join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "docs_used", "most_copies"])
     total = F.sum("tokens").over(Window.partitionBy("mix_name"))
     return rows.select(
-        "mix_name", "source", "target_share", F.coalesce(F.col("tokens") / F.when(total > 0, total), F.lit(0.0)).alias("actual_share"), "tokens", "budget", "available", "docs_used", F.col("most_copies").cast("int").alias("most_copies"), "max_repeats"
+        "mix_name", "source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("actual_share"), "tokens", "budget", "available", "docs_used", F.col("most_copies").cast("int").alias("most_copies"), "max_repeats"
     )

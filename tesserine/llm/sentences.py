@@ -368,7 +368,7 @@ def learn(df: DataFrame, text_col: str = "text") -> Lexicon:
 
     counts = materialise(counts, "evidence")
     size = (counts.filter(F.col("kind") == "n").agg(F.sum("n")).first()[0]) or 0
-    kept = counts.filter((F.col("kind") != "n") & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(MIN_SHARE * size)))).collect()
+    kept = counts.filter((F.col("kind") != "n") & (F.col("n") >= F.greatest(F.lit(3.0), F.lit(MIN_SHARE * size)))).collect()
     return judge({(r["kind"], r["word"]): r["n"] for r in kept})
 
 
@@ -380,7 +380,7 @@ def judge(by: dict[tuple[str, str], int]) -> Lexicon:
         soft = by.get(("a", word), 0) + by.get(("d", word), 0)
         if free > 0.1 * dotted or len(word) > 1 and not (word[0].isupper() or word[0].islower()):
             continue  # stands without a period too, or is a word of a script without case
-        if soft >= 0.2 * dotted or len(word) <= 5 and word[0].isupper() or len(word) <= 4:
+        if soft >= 0.2 * dotted or len(word) <= 5 and word[0].isupper():
             abbreviations.add(word)
     return Lexicon(abbreviations, {w for k, w in by if k == "s"})
 
