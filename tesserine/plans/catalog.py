@@ -10,6 +10,7 @@ from tesserine.operators import concepts as C
 from tesserine.operators import corpus as S
 from tesserine.operators import graph as G
 from tesserine.operators import health as H
+from tesserine.operators import render as R
 from tesserine.operators import vectors as V
 from tesserine.runtime import table
 
@@ -559,6 +560,38 @@ def view_maps(spark, sf):
     return C.maps(_t(spark, sf, "syntheses")).select("slug", F.size("members").cast("long").alias("n")).filter("n > 0").orderBy(F.desc("n"), "slug")
 
 
+@query("export_nodes", _LINKS + _MAPS + ", mt AS (SELECT moc, min_by(m.title, (synthesis_id, pos)) AS title FROM (SELECT synthesis_id, pos, m, coalesce(nullif(m.slug, ''), " + _slug_sql("coalesce(m.title, $$$$)") + ") AS moc FROM un2) GROUP BY moc) SELECT slug AS id, 'concept' AS kind, coalesce(title, '') AS label FROM nodes UNION ALL SELECT moc, 'moc', coalesce(title, '') FROM mt UNION ALL SELECT source_file, 'source', coalesce(title, '') FROM sources")
+def export_nodes(spark, sf):
+    return R.graph_nodes(C.merge(_occ(spark, sf)), C.maps(_t(spark, sf, "syntheses")), _t(spark, sf, "sources"))
+
+
+@query("export_edges", _LINKS + _MAPS + ", o AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, relation, min(src) AS src FROM edges GROUP BY 1, 2, 3) SELECT src, CASE WHEN src = a THEN b ELSE a END AS dst, relation FROM o UNION ALL SELECT DISTINCT moc, member, 'contains' FROM mm WHERE member IS NOT NULL")
+def export_edges(spark, sf):
+    return R.graph_edges(C.links(_occ(spark, sf)).select("src", "dst", "relation"), C.maps(_t(spark, sf, "syntheses")))
+
+
+@query("page_index", _OCC + " SELECT DISTINCT 'concepts' AS dir, slug AS name, '- [[' || slug || ']]' AS line FROM occ")
+def page_index(spark, sf):
+    return R.directory_index(R.concept_pages(C.merge(_occ(spark, sf))))
+
+
+@query("concept_pages")
+def concept_pages(spark, sf):
+    return R.concept_pages(C.merge(_occ(spark, sf)))
+
+
+@query("event_lines")
+def event_lines(spark, sf):
+    return R.events(_t(spark, sf, "operations").dropDuplicates(["id"]).select("id", "source", "status", "error"))
+
+
+@query("normal_slugs")
+def normal_slugs(spark, sf):
+    from tesserine.functions.parsing import normal_slug, with_column
+
+    return with_column(_t(spark, sf, "sources").select("rec_id", "title"), "slug", lambda t: normal_slug(None, t), "title").select("rec_id", "slug")
+
+
 def queries():
     """All registered queries."""
     return dict(_QUERIES)
