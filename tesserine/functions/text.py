@@ -97,7 +97,7 @@ def normalise_reference(value: Column) -> Column:
 
 def wikilinks(body: Column) -> Column:
     """Targets of all [[target]] and [[target|alias]] links, in order."""
-    return F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def make_wikilink(slug: Column, alias: Column) -> Column:
@@ -145,7 +145,7 @@ def quality_reason(title: Column, content: Column) -> Column:
     """First rule of the extraction gate a source breaks; "" if it passes all."""
     t, c = F.trim(F.coalesce(title, F.lit(""))), F.coalesce(content, F.lit(""))
     low = casefold(c)
-    lines = F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     fields = F.size(F.filter(lines, lambda x: x.rlike("^(?:" + "|".join(METADATA_FIELDS) + ")")))
     chrome = sum((F.contains(low, F.lit(m)).cast("int") for m in CHROME_MARKERS[1:]), F.contains(low, F.lit(CHROME_MARKERS[0])).cast("int"))
     bad_title = (F.length(t) < 3) | t.rlike(r"^(?:\]\(|\[|https?://)") | F.contains(t, F.lit("://")) | t.rlike(r"(?: on X| on Twitter)$") | t.rlike(r"(?i)^https?(?:www)?(?:x|twitter|[a-z0-9-]+(?:com|org|net))")

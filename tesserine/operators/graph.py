@@ -32,12 +32,14 @@ def maturity(nodes: DataFrame, edges: DataFrame, pages: int = 4, links: int = 3,
     return rows.withColumn("mature", (F.col("pages") >= pages) & (F.col("edges") >= links) & (F.col("connected") >= connected))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, iterations: int = 40, cut_every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, iterations: int = 40, cut_every: int = 2) -> DataFrame:
     """Personalised PageRank: path, rank. nodes: path; edges: src, dst; seeds: path, weight.
 
     A fixed number of iterations; out-degrees count distinct targets, the rank
     of pages without links returns to the seeds, seeds that add up to 0 stand
-    for all pages. Lineage is cut in the shared folder every few iterations.
+    for all pages. Ranks are read twice an iteration (links and dangling mass), so
+    the plan doubles each time: lineage is cut in the shared folder every
+    `cut_every` iterations.
     """
     if not 0 < damping < 1 or iterations < 1:
         raise ValueError("pagerank: damping in (0, 1) and at least one iteration")

@@ -38,7 +38,7 @@ def untidy_tags(found: DataFrame) -> DataFrame:
 
 def alias_candidates(concepts: DataFrame) -> DataFrame:
     """Parenthesised parts of a title that aren't an alias yet: slug, alias."""
-    groups = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"\(([^()]+)\)"), F.lit(1)), F.trim))
+    groups = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda x: F.trim(x)))
     known = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), T.casefold)
     rows = concepts.select("slug", "title", known.alias("known"), F.explode(groups).alias("alias"))
     wanted = (F.length("alias") <= 160) & F.col("alias").rlike(r"[\p{L}\p{N}]") & (T.casefold(F.col("alias")) != T.casefold(F.trim("title"))) & ~F.array_contains("known", T.casefold(F.col("alias")))
@@ -74,7 +74,7 @@ def plan_fixes(found: DataFrame) -> DataFrame:
 
 def citations(answer: Column) -> Column:
     """Distinct link targets cited in an answer, anchors removed, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x)))
 
 
 def validate_citations(answers: DataFrame, allowed: DataFrame, key: str) -> DataFrame:

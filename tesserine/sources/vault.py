@@ -105,7 +105,7 @@ def read_clippings(spark: SparkSession, folder: str, least: int = 100) -> DataFr
 def read_inbox(spark: SparkSession, folder: str) -> DataFrame:
     """First http(s) line of each *.url file, each address once: url."""
     rows = read_vault(spark, folder, recursive=False, pattern="*.url")
-    first = F.element_at(F.filter(F.transform(F.split("raw", r"\r?\n"), F.trim), lambda x: x.rlike("(?i)^https?://")), 1)
+    first = F.element_at(F.filter(F.transform(F.split("raw", r"\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike("(?i)^https?://")), 1)
     return rows.select("path", first.alias("url")).filter("url is not null").groupBy("url").agg(F.min("path").alias("path")).select("url")
 
 
