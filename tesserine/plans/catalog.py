@@ -232,12 +232,12 @@ def byte_truncate(spark, sf):
     return _t(spark, sf, "sources").select("rec_id", F.octet_length(S.truncate_bytes(F.col("content"), 4000)).alias("bytes"))
 
 
-@query("quote_resolve", _OCC + ", cl AS (SELECT synthesis_id, source_file, pos, unnest(c.claims) AS cl, generate_subscripts(c.claims, 1) - 1 AS k FROM occ) SELECT synthesis_id, pos, k, CASE WHEN q = '' OR p = 0 OR p IS NULL THEN 'unmatched' WHEN p2 > 0 THEN 'ambiguous' ELSE 'verified' END AS verification, CASE WHEN NOT (q = '' OR p = 0 OR p IS NULL) AND NOT p2 > 0 THEN p - 1 END AS start_offset FROM (SELECT cl.*, coalesce(cl.cl.text, '') AS q, strpos(s.content, coalesce(cl.cl.text, '')) AS p, strpos(substr(s.content, strpos(s.content, coalesce(cl.cl.text, '')) + 1), coalesce(cl.cl.text, '')) AS p2 FROM cl LEFT JOIN sources s ON s.source_file = cl.source_file)")
+@query("quote_resolve", _OCC + ", cl AS (SELECT synthesis_id, source_file, pos, unnest(c.claims) AS cl, generate_subscripts(c.claims, 1) - 1 AS k FROM occ) SELECT synthesis_id, pos, k, CASE WHEN q = '' OR p = 0 OR p IS NULL THEN 'unmatched' WHEN p2 > 0 THEN 'ambiguous' ELSE 'verified' END AS verification, CASE WHEN NOT (q = '' OR p = 0 OR p IS NULL) AND NOT p2 > 0 THEN p - 1 ELSE -1 END AS start_offset FROM (SELECT cl.*, coalesce(cl.cl.text, '') AS q, strpos(s.content, coalesce(cl.cl.text, '')) AS p, strpos(substr(s.content, strpos(s.content, coalesce(cl.cl.text, '')) + 1), coalesce(cl.cl.text, '')) AS p2 FROM cl LEFT JOIN sources s ON s.source_file = cl.source_file)")
 def quote_resolve(spark, sf):
     claims = C.claims(_occ(spark, sf))
     src = _t(spark, sf, "sources").select("source_file", "content")
     rows = claims.join(src, "source_file", "left").withColumn("q", T.quote_position(F.coalesce("text", F.lit("")), F.col("content")))
-    return rows.select("synthesis_id", F.col("ord.ord.pos").cast("long").alias("pos"), F.col("ord.k").cast("long").alias("k"), F.col("q.verification").alias("verification"), F.col("q.start_offset").cast("long").alias("start_offset"))
+    return rows.select("synthesis_id", F.col("ord.ord.pos").cast("long").alias("pos"), F.col("ord.k").cast("long").alias("k"), F.col("q.verification").alias("verification"), F.coalesce(F.col("q.start_offset").cast("long"), F.lit(-1)).alias("start_offset"))
 
 
 # ---- corpus, state, operations ---------------------------------------------
