@@ -48,9 +48,9 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of new batches that repeat an earlier record, with the first one."""
     bodies, excluded = _bodies(spark, sf_dir)
-    kept = bodies.join(excluded, "rec_id", "left_anti").join(table(spark, sf_dir, "sources").select("rec_id", "batch_no"), "rec_id")
-    kept = materialise(kept.select("rec_id", "batch_no", "body"), "kept")
-    return repeats(materialise(fingerprint(kept), "index"), kept)
+    index = fingerprint(bodies.select("rec_id", F.lit(0).alias("batch_no"), "body")).drop("batch_no")  # texts are read in place, only the index moves
+    kept = index.join(excluded, "rec_id", "left_anti").join(table(spark, sf_dir, "sources").select("rec_id", "batch_no"), "rec_id")
+    return repeats(materialise(kept, "index"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_history_against_brute_force(spark):
         rows.append((k, None if k == 0 else int(k >= 20), text.upper() + "!" if rng.random() < 0.3 else text, "x"))
     rows += [(100, 1, None, "x"), (101, 1, " ! ", "x"), (rows[30][0], 1, rows[30][2], "x")]
     table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string, mark string")
-    got = {(r[0], r[1]) for r in repeats(fingerprint(table), table).collect()}
+    got = {(r[0], r[1]) for r in repeats(fingerprint(table)).collect()}
     split = {r[0]: units(normal(r[2] or "")) for r in rows}
     want = set()
     for k in range(20, 60):
@@ -53,7 +53,7 @@ def test_history_against_brute_force(spark):
             want.add((first, k))
     assert got == want and len(want) > 15
     empty = table.limit(0)
-    assert repeats(fingerprint(empty), empty).count() == 0
+    assert repeats(fingerprint(empty)).count() == 0
 
 
 def test_hot_group_of_near_copies_is_whole(spark):
@@ -65,7 +65,7 @@ def test_hot_group_of_near_copies_is_whole(spark):
         words[rng.randrange(120)] = f"new{k}"
         rows.append((k, 1, " ".join(words)))
     table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string")
-    assert {(r[0], r[1]) for r in repeats(fingerprint(table), table).collect()} == {(0, k) for k in range(1, 80)}
+    assert {(r[0], r[1]) for r in repeats(fingerprint(table)).collect()} == {(0, k) for k in range(1, 80)}
 
 
 def test_residue_spreads_to_copies_only(spark):
