@@ -16,13 +16,14 @@ def canonical(vec):
     return F.transform(vec.cast("array<double>"), lambda x: F.bround(x, 8))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, same_label: bool, parts: int = 16, blocks: int = 4) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, same_label: bool, parts: int = 16) -> DataFrame:
     """Pairs a < b (ids) whose cosine is at least threshold, of the same or of different labels: a, b, similarity.
 
     vectors: vec_id, embedding, label. Rows are dealt to `parts` salted blocks;
     each pair of blocks is one task's matrix product, so no label, however
     frequent, is one task's work. Only pairs above the threshold leave a task.
-    `blocks` is unused but for its name in the plan of larger clusters.
+    Choose `parts` so that a part holds at most some 50,000 vectors; each row is
+    sent to `parts` tasks. Null embeddings are in no pair.
     """
     ship(vectors.sparkSession)
     base = vectors.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
