@@ -145,3 +145,19 @@ def test_turn_tables(spark):
     episodes = spark.createDataFrame([("e", [("Ann Poe", "host"), ("Bo Ray", None)])], "identity string, participants array<struct<name:string,role:string>>")
     assert sorted((r[0], r[1], r[2]) for r in speaker_turns(said, episodes).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
     assert speaker_turns(said.limit(0), episodes).count() == 0 and speaker_turns(said, episodes.limit(0)).count() == 2  # without a cast the names are text
+
+
+def pairs_found(spark, rows):
+    table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string")
+    return {(r[0], r[1]) for r in repeats(fingerprint(table)).collect()}
+
+
+def test_block_of_unlike_bodies_hides_no_pair(spark):
+    rng = random.Random(10)
+    common = prose(rng, 120)  # a passage that 40 bodies share, of which only the last two are alike
+    own = [prose(rng, 120) for _ in range(39)]
+    rows = [(k, 0, f"{common} {t}") for k, t in enumerate(own)]
+    words = own[38].split()
+    words[::4] = ["changed"] * len(words[::4])
+    rows.append((39, 1, f"{common} {' '.join(words)}"))
+    assert pairs_found(spark, rows) == {(38, 39)}
