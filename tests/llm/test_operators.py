@@ -161,3 +161,32 @@ def test_block_of_unlike_bodies_hides_no_pair(spark):
     words[::4] = ["changed"] * len(words[::4])
     rows.append((39, 1, f"{common} {' '.join(words)}"))
     assert pairs_found(spark, rows) == {(38, 39)}
+
+
+def test_drifting_copies_find_the_earliest(spark):
+    rng = random.Random(11)
+    texts, words = [], prose(rng, 100).split()
+    for _ in range(60):  # each copy changes words of the one before, so the first is soon unlike
+        texts.append(list(words))
+        for _ in range(3):
+            words[rng.randrange(100)] = f"drift{rng.randrange(10**6)}"
+    want = {(next(j for j in range(k) if similar(texts[j], texts[k])), k) for k in range(1, 60)}
+    assert pairs_found(spark, [(k, int(k > 0), " ".join(t)) for k, t in enumerate(texts)]) == want
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("length", [30, 120, 200, 450, 1000])
+def test_edits_in_every_passage_hide_few_bodies(spark, wide, length):
+    rng = random.Random(length)
+    unit = (lambda: chr(0x4E00 + rng.randrange(1500))) if wide else (lambda: f"w{rng.randrange(1500)}")
+    rows, pairs = [], 0
+    for rate in (0.05, 0.1, 0.15, 0.19):
+        for _ in range(20):
+            words = [unit() for _ in range(length)]
+            rows.append((2 * pairs, 0, ("" if wide else " ").join(words)))
+            for at in rng.sample(range(length), int(rate * length)):
+                words[at] = unit()
+            rows.append((2 * pairs + 1, 1, ("" if wide else " ").join(words)))
+            pairs += 1
+    found = pairs_found(spark, rows)
+    assert found <= {(2 * k, 2 * k + 1) for k in range(pairs)} and len(found) >= 0.9 * pairs
