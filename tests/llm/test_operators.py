@@ -190,3 +190,15 @@ def test_edits_in_every_passage_hide_few_bodies(spark, wide, length):
             pairs += 1
     found = pairs_found(spark, rows)
     assert found <= {(2 * k, 2 * k + 1) for k in range(pairs)} and len(found) >= 0.9 * pairs
+
+
+def test_residue_spreads_to_edited_copies(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(20):
+        filler = [f"placeholder {prose(rng, 9)}." for _ in range(8)]
+        edited = [*filler[:4], filler[4].replace("placeholder", "changed"), *filler[5:]]  # a shingle similarity of 71 / 81
+        rows += [(2 * k, " ".join(filler)), (2 * k + 1, " ".join(edited))]
+    table = spark.createDataFrame([(k, t, t) for k, t in rows], "rec_id long, body string, text string")
+    got = {r["rec_id"]: r["reason"] for r in residue(table).collect()}
+    assert all(got[2 * k] == "notice or filler" for k in range(20)) and sum(got.get(2 * k + 1) == "copy of residue" for k in range(20)) >= 18
