@@ -13,7 +13,7 @@ from tesserine.llm.history import kept_in_order, marks_of, passages, similar
 from tesserine.llm.languages import Model, fit, mixture, prose_lines
 from tesserine.llm.leakage import cgk_keys, covered, plain, repetitions
 from tesserine.llm.leakage import units as leak_units
-from tesserine.llm.residue import has_slot, is_residue
+from tesserine.llm.residue import _SLOT, has_slot, is_residue
 from tesserine.llm.sentences import Lexicon, evidence, sentence_spans
 from tesserine.llm.turns import Cast, clean, is_speech, turns_of
 from tesserine.llm.wrappers import chrome_lines, host_of, key_of, token
@@ -190,3 +190,8 @@ def test_language_mixture():
     scores = model.score(["the reader keeps the notes", "chaque lecteur garde les notes"]).astype(float)
     assert scores.argmax(axis=1).tolist() == [0, 1] and (mixture(scores) > 0).all()
     assert prose_lines("```\ncode\n```\n123\nText", [9]) == [(5, "text")]
+
+
+@pytest.mark.parametrize("text", ["[Überschrift einfügen]", "[Écran ici]", "[3 photos to come]", "[[INSERT NAME]]", "[[placeholder:x]]", "[вставить имя]"])
+def test_slots_after_any_bracket(text):
+    assert _SLOT.search(text) and has_slot(f"a {text} b")
