@@ -59,7 +59,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, same_label: bool, parts:
 def centroids(vectors: DataFrame) -> DataFrame:
     """Component-wise mean by label over vectors of the label's smallest-id dimension: label, centroid."""
     dims = vectors.groupBy("label").agg(F.min_by(F.size("embedding"), "vec_id").alias("dim"))
-    parts = vectors.join(F.broadcast(dims.limit(1_000_000)), "label").filter(F.size("embedding") == F.col("dim")).select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    parts = vectors.join(dims, "label").filter(F.size("embedding") == F.col("dim")).select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
     means = parts.groupBy("label", "pos").agg(F.avg("x").alias("x"))
     return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
 

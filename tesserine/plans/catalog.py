@@ -222,8 +222,8 @@ def mermaid_nodes(spark, sf):
 @query("byte_gate", "SELECT c.config_id, s.rec_id, octet_length(encode(s.content)) < c.min_source_chars AS too_few_bytes, length(s.content) < c.min_source_chars AS too_few_chars, octet_length(encode(s.content)) > c.max_source_chars AS too_many_bytes FROM sources s CROSS JOIN chunk_configs c")
 def byte_gate(spark, sf):
     src = _t(spark, sf, "sources").select("rec_id", F.octet_length("content").alias("b"), F.length("content").alias("n"))
-    cfg = _t(spark, sf, "chunk_configs").select("config_id", "min_source_chars", "max_source_chars").limit(1000)
-    rows = src.join(F.broadcast(cfg))  # a parameter table of at most 1000 rows
+    cfg = _t(spark, sf, "chunk_configs").select("config_id", "min_source_chars", "max_source_chars")
+    rows = src.crossJoin(cfg)
     return rows.select("config_id", "rec_id", (F.col("b") < F.col("min_source_chars")).alias("too_few_bytes"), (F.col("n") < F.col("min_source_chars")).alias("too_few_chars"), (F.col("b") > F.col("max_source_chars")).alias("too_many_bytes"))
 
 

@@ -242,3 +242,11 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_byte_gate_has_all_configs(spark, tmp_path):
+    from tesserine.plans.catalog import byte_gate
+
+    spark.createDataFrame([(1, "text")], "rec_id long, content string").write.parquet(str(tmp_path / "sources.parquet"))
+    spark.range(1001).selectExpr("id AS config_id", "1 AS min_source_chars", "9 AS max_source_chars").write.parquet(str(tmp_path / "chunk_configs.parquet"))
+    assert byte_gate(spark, str(tmp_path)).count() == 1001
