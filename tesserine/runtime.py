@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             folder = current
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="tesserine-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -40,16 +42,15 @@ def _filesystem(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
-def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    fs, where = _filesystem(spark, path)
+    return bool(fs.exists(where))
 
-    Unlike a local checkpoint the files outlive any executor; unlike an RDD
-    checkpoint they are compressed and columnar. The folder is dropped when
-    the Python driver exits.
-    """
-    spark = df.sparkSession
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a table yet to be written in the shared folder; dropped when the Python driver exits."""
     path = f"{shared_folder(spark)}/tesserine-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
 
     def drop() -> None:
         try:
@@ -59,6 +60,18 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
             pass  # the session is gone; the folder belongs to its owner
 
     atexit.register(drop)
+    return path
+
+
+def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back.
+
+    Unlike a local checkpoint the files outlive any executor; unlike an RDD
+    checkpoint they are compressed and columnar.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
