@@ -49,6 +49,21 @@ def simhash(features: np.ndarray) -> int:
     return int(packed.view(np.int64)[0])
 
 
+def wide_simhash(features: np.ndarray, words: int) -> np.ndarray:
+    """Signed 64-bit words of a SimHash of words x 64 bits of hashed features; zeros for none."""
+    if not len(features):
+        return np.zeros(words, np.int64)
+    with np.errstate(over="ignore"):
+        mixed = (np.ascontiguousarray(features)[:, None] + np.arange(1, words + 1, dtype=np.uint64) * _MIX) * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _MIX
+        mixed ^= mixed >> np.uint64(29)
+    sums = np.zeros(words * 64, np.int64)
+    for lo in range(0, len(mixed), 4096):
+        sums += np.unpackbits(mixed[lo : lo + 4096].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > len(features)).view(np.int64)
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of width units; of the whole stream if it is shorter."""
     n = len(hashes)

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
-from tesserine.llm.history import fingerprint, repeats
+from tesserine.llm.history import append, fingerprint, repeats, stored
 from tesserine.llm.languages import cached, languages, missing_labels, train
 from tesserine.llm.leakage import leaks
 from tesserine.llm.mixing import count_tokens, mix, shares
-from tesserine.llm.residue import residue
+from tesserine.llm.residue import has_slot, residue
 from tesserine.llm.sentences import sentences
 from tesserine.llm.turns import speaker_turns
 from tesserine.llm.wrappers import main_bodies
-from tesserine.runtime import materialise, table
+from tesserine.runtime import materialise, new_folder, table
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Main bodies of all sources, and the residue among them."""
-    bodies = materialise(main_bodies(table(spark, sf_dir, "sources")), "bodies")
+    bodies = materialise(main_bodies(table(spark, sf_dir, "sources"), mark=has_slot), "bodies")
     return bodies, materialise(residue(bodies).select("rec_id", "reason"), "excluded")
 
 
@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies, excluded = _bodies(spark, sf_dir)
     model = train(table(spark, sf_dir, "documents"))
-    return cached(languages(bodies.join(excluded, "rec_id", "left_anti"), model))
+    return cached(languages(bodies.join(excluded, "rec_id", "left_anti").select("rec_id", F.col("body").alias("text"), F.array().cast("array<int>").alias("chrome")), model))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,12 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of new batches that repeat an earlier record, with the first one."""
     bodies, excluded = _bodies(spark, sf_dir)
-    index = fingerprint(bodies.select("rec_id", F.lit(0).alias("batch_no"), "body")).drop("batch_no")  # texts are read in place, only the index moves
-    kept = index.join(excluded, "rec_id", "left_anti").join(table(spark, sf_dir, "sources").select("rec_id", "batch_no"), "rec_id")
-    return repeats(materialise(kept, "index"))
+    texts = bodies.select("rec_id", "body")  # texts are read in place, only fingerprints move
+    prints = fingerprint(texts.withColumn("batch_no", F.lit(0))).drop("batch_no")
+    prints = prints.join(excluded, "rec_id", "left_anti").join(table(spark, sf_dir, "sources").select("rec_id", "batch_no"), "rec_id")
+    folder = new_folder(spark, "prints")
+    append(folder, prints)
+    return repeats(stored(spark, folder, prints), texts)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

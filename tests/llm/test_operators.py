@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
-from tesserine.llm.history import fingerprint, repeats, similar
+from tesserine.llm.history import accept, fingerprint, repeats, similar
 from tesserine.llm.fingerprints import normal, units
 from tesserine.llm.languages import label_code, languages, missing_labels, train
 from tesserine.llm.leakage import leaks
@@ -44,7 +44,7 @@ def test_history_against_brute_force(spark):
         rows.append((k, None if k == 0 else int(k >= 20), text.upper() + "!" if rng.random() < 0.3 else text, "x"))
     rows += [(100, 1, None, "x"), (101, 1, " ! ", "x"), (rows[30][0], 1, rows[30][2], "x")]
     table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string, mark string")
-    got = {(r[0], r[1]) for r in repeats(fingerprint(table)).collect()}
+    got = {(r[0], r[1]) for r in repeats(fingerprint(table), table).collect()}
     split = {r[0]: units(normal(r[2] or "")) for r in rows}
     want = set()
     for k in range(20, 60):
@@ -53,7 +53,7 @@ def test_history_against_brute_force(spark):
             want.add((first, k))
     assert got == want and len(want) > 15
     empty = table.limit(0)
-    assert repeats(fingerprint(empty)).count() == 0
+    assert repeats(fingerprint(empty), empty).count() == 0
 
 
 def test_hot_group_of_near_copies_is_whole(spark):
@@ -65,15 +65,15 @@ def test_hot_group_of_near_copies_is_whole(spark):
         words[rng.randrange(120)] = f"new{k}"
         rows.append((k, 1, " ".join(words)))
     table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string")
-    assert {(r[0], r[1]) for r in repeats(fingerprint(table)).collect()} == {(0, k) for k in range(1, 80)}
+    assert {(r[0], r[1]) for r in repeats(fingerprint(table), table).collect()} == {(0, k) for k in range(1, 80)}
 
 
 def test_residue_spreads_to_copies_only(spark):
     rng = random.Random(7)
     good = [(k, prose(rng, 60)) for k in range(12)]
     filler = "Your story starts in this box. " * 6
-    rows = [(*g, g[1], 1) for g in good] + [(50, filler, filler, 1), (51, "x {{ slot }} y", "x {{ slot }} y", 1), (52, "", "", 1), (53, None, None, 1), (51, "x {{ slot }} y", "x {{ slot }} y", 1)]
-    table = spark.createDataFrame(rows, "rec_id long, body string, text string, mark int")
+    rows = [(*g, False, 1) for g in good] + [(50, filler, False, 1), (51, "x {{ slot }} y", True, 1), (52, "", None, 1), (53, None, None, 1), (51, "x {{ slot }} y", True, 1)]
+    table = spark.createDataFrame(rows, "rec_id long, body string, marked boolean, mark int")
     got = {r["rec_id"]: r["reason"] for r in residue(table).collect()}
     assert got == {50: "notice or filler", 51: "slot", 52: "notice or filler"}
     assert residue(table.limit(0)).count() == 0
@@ -149,7 +149,44 @@ def test_turn_tables(spark):
 
 def pairs_found(spark, rows):
     table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string")
-    return {(r[0], r[1]) for r in repeats(fingerprint(table)).collect()}
+    return {(r[0], r[1]) for r in repeats(fingerprint(table), table).collect()}
+
+
+def test_batches_one_by_one_equal_all_at_once(spark, tmp_path):
+    rng = random.Random(13)
+    texts = [prose(rng, 70) for _ in range(12)]
+    rows = []
+    for k in range(48):
+        words = texts[rng.randrange(12)].split()
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(70)] = f"new{rng.randrange(1000)}"
+        rows.append((k, k // 12, " ".join(words)))
+    table = spark.createDataFrame(rows, "rec_id long, batch_no int, body string")
+    folder, got = f"file://{tmp_path}/prints", set()
+    for batch in range(4):
+        part = table.filter(F.col("batch_no") == batch)
+        found = accept(folder, fingerprint(part), table)
+        if batch:
+            got |= {(r[0], r[1]) for r in found.collect()}
+    split = [r[2].split() for r in rows]
+    want = {(next(j for j in range(k) if similar(split[j], split[k])), k) for k in range(12, 48) if any(similar(split[j], split[k]) for j in range(k))}
+    assert got == want and len(want) > 10
+    again = accept(folder, fingerprint(table.filter("batch_no = 3")), table)  # a batch given twice is appended once
+    assert spark.read.parquet(folder).count() == 48 and {(r[0], r[1]) for r in again.collect()} == {p for p in want if p[1] >= 36}
+
+
+def test_tables_of_articles_stay(spark):
+    rng = random.Random(14)
+    own = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    rows = []
+    for k in range(5000):
+        table = "\n".join(f"| {own()} | {rng.randrange(100)} | {rng.randrange(100)} | {rng.choice(WORDS)} of {own()} |" for _ in range(3))
+        menu = "Home | About | 12 | Contact" if k % 2 else "Home\nAbout"
+        rows.append((k, f"https://h{k % 40}.example/{k}", f"{menu}\n\n{prose(rng, 20)}.\n\n| name | 1 | 2 | text |\n|---|---|---|---|\n{table}\n\n{prose(rng, 20)}.\n\nBack to top", None))
+    sources = spark.createDataFrame(rows, "rec_id long, url string, content string, provenance struct<requested_url:string,resolved_url:string,extracted_url:string>")
+    last = F.size(F.split("content", "\n"))
+    want = sources.select("rec_id", F.when(F.col("rec_id") % 2 == 0, F.array(F.lit(1), F.lit(2), last)).otherwise(F.array(F.lit(1), last)).alias("chrome"))
+    assert main_bodies(sources).select("rec_id", "chrome").exceptAll(want).count() == 0
 
 
 def test_block_of_unlike_bodies_hides_no_pair(spark):
@@ -199,6 +236,6 @@ def test_residue_spreads_to_edited_copies(spark):
         filler = [f"placeholder {prose(rng, 9)}." for _ in range(8)]
         edited = [*filler[:4], filler[4].replace("placeholder", "changed"), *filler[5:]]  # a shingle similarity of 71 / 81
         rows += [(2 * k, " ".join(filler)), (2 * k + 1, " ".join(edited))]
-    table = spark.createDataFrame([(k, t, t) for k, t in rows], "rec_id long, body string, text string")
+    table = spark.createDataFrame([(k, t, False) for k, t in rows], "rec_id long, body string, marked boolean")
     got = {r["rec_id"]: r["reason"] for r in residue(table).collect()}
     assert all(got[2 * k] == "notice or filler" for k in range(20)) and sum(got.get(2 * k + 1) == "copy of residue" for k in range(20)) >= 18

@@ -16,7 +16,7 @@ from tesserine.llm.leakage import units as leak_units
 from tesserine.llm.residue import _SLOT, has_slot, is_residue
 from tesserine.llm.sentences import Lexicon, evidence, sentence_spans
 from tesserine.llm.turns import Cast, clean, is_speech, turns_of
-from tesserine.llm.wrappers import chrome_lines, host_of, key_of, token
+from tesserine.llm.wrappers import Expression, chrome_lines, host_of, key_of, token
 
 
 @settings(max_examples=150, deadline=None)
@@ -174,6 +174,22 @@ def test_residue_bodies():
         assert not is_residue(t, words(t), ordinary), t
 
 
+def test_streams_align_into_one_expression():
+    e = Expression()
+    assert e.align([1, 2, 3, 4]) == ([], set())
+    assert e.align([1, 9, 3, 8, 8, 4]) == ([1, 3, 4], {8})  # 2 and 9 are optional, 8 repeats
+    assert e.align([4, 1, 9, 8]) == ([1, 9, 8], set()) and e.align([]) == ([], set())  # 4 is out of order
+    places = sorted(e.place, key=e.place.get)
+    assert [k for k in places if k in (1, 3, 4)] == [1, 3, 4] and places.index(1) < places.index(9) < places.index(3)
+
+
+def test_filler_without_phrases():
+    ordinary = frozenset("the a of and archive keeps every page note in this story about".split())
+    words = lambda t: units(normal(t))
+    mash = "qwer tyui asdf text text foo bar baz text text foo bar baz qwer tyui asdf " * 4
+    assert is_residue(mash, words(mash), ordinary | {"text", "bar"}) and not is_residue("the page of the note " * 3 + "is about a story in the archive and every note", words("the page of the note " * 3 + "is about a story in the archive and every note"), ordinary)
+
+
 def test_page_lines():
     page = "Shop\nHome\n\n# Title\n\nA body line that says something.\n\n12 comments, join\n\nAnother body line here.\n© 2020 x.example. All rights reserved."
     known = {key_of(k) for k in ("Shop", "Home", "\x02 comments, join", "© \x02 \x01. All rights reserved.")}
