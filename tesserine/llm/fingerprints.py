@@ -59,8 +59,8 @@ def wide_simhash(features: np.ndarray, words: int) -> np.ndarray:
         mixed *= _MIX
         mixed ^= mixed >> np.uint64(29)
     sums = np.zeros(words * 64, np.int64)
-    for lo in range(0, len(mixed), 4096):
-        sums += np.unpackbits(mixed[lo : lo + 4096].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    for lo in range(0, len(mixed), 255):  # a byte holds the sum of 255 bits
+        sums += np.add.reduce(np.unpackbits(mixed[lo : lo + 255].view(np.uint8), axis=1), axis=0, dtype=np.uint8)
     return np.packbits(sums * 2 > len(features)).view(np.int64)
 
 
