@@ -594,9 +594,13 @@ def normal_slugs(spark, sf):
 
 def queries():
     """All registered queries."""
+    from tesserine.plans import notes  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
     """The oracle statements of those that have one."""
+    from tesserine.plans import notes  # noqa: F401  registers its queries
+
     return {k: v if v.lstrip().upper().startswith(("SELECT", "WITH")) else "WITH " + v for k, v in _ORACLES.items()}
