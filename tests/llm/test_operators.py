@@ -239,3 +239,11 @@ def test_residue_spreads_to_edited_copies(spark):
     table = spark.createDataFrame([(k, t, False) for k, t in rows], "rec_id long, body string, marked boolean")
     got = {r["rec_id"]: r["reason"] for r in residue(table).collect()}
     assert all(got[2 * k] == "notice or filler" for k in range(20)) and sum(got.get(2 * k + 1) == "copy of residue" for k in range(20)) >= 18
+
+
+def test_menu_of_any_length_is_page(spark):
+    rng = random.Random(15)
+    menu = " | ".join(f"[Part {chr(97 + k)}{chr(97 + k // 3)} of the site](https://site.example/{'x' * 20}/{k})" for k in range(26))
+    rows = [(k, f"https://h{k % 4}.example/{k}", f"{menu}\n\n{prose(rng, 400)}.\n\n{prose(rng, 400)}.", None) for k in range(60)]
+    sources = spark.createDataFrame(rows, "rec_id long, url string, content string, provenance struct<requested_url:string,resolved_url:string,extracted_url:string>")
+    assert len(menu) > 600 and [r["chrome"] for r in main_bodies(sources).collect()] == [[1]] * 60
