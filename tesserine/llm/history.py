@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.arrow import map_rows
-from tesserine.llm.fingerprints import Hasher, hamming, normal, shingles, units, wide_simhash
+from tesserine.llm.fingerprints import SPREAD, Hasher, hamming, normal, shingles, units, wide_simhash
 from tesserine.runtime import exists, materialise
 
 #: Mean units of a passage: words, or characters of scripts without spaces.
@@ -50,10 +50,14 @@ PASSAGES = 8
 SKETCH, GRAM, BITS = 4, (2, 4, 8), (92, 98, 98)
 #: Part of the longer body that must be kept in order.
 KEPT = 0.8
+#: Units of a body between two looks at whether enough can still be kept.
+STEP = 32
 #: Classes in a block up to which it is joined whole; larger ones are joined by bands of length and in shares of SHARE classes.
 SMALL, SHARE = 24, 1_000
 #: Bodies a task of the verification keeps at hand, with some 40 KB each.
 STREAMS = 5_000
+#: Tasks of a verification at least.
+PARTS = 64
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -78,7 +82,35 @@ def kept_in_order(a: list, b: list) -> int:
 def similar(a: list, b: list, kept: float = KEPT) -> bool:
     """Whether at least `kept` of the longer stream of units is in the other, in order."""
     longest = max(len(a), len(b))
-    return longest > 0 and min(len(a), len(b)) >= kept * longest and kept_in_order(a, b) >= kept * longest
+    return longest > 0 and min(len(a), len(b)) >= kept * longest and keeps(a, b, math.ceil(kept * longest))
+
+
+def keeps(a: list, b: list, least: int) -> bool:
+    """Whether kept_in_order(a, b) >= least.
+
+    Then at most len(a) - least units of a stand unmatched before a match, so the
+    first units of b meet only so many more of a; it ends where the rest of b is
+    too short.
+    """
+    m, n = len(a), len(b)
+    at: dict = {}
+    v, known = 0, 0
+    for i in range(0, n, STEP):
+        end = min(m, i + STEP + m - least)
+        for j in range(known, end):
+            at[a[j]] = at.get(a[j], 0) | 1 << j
+        if end > known:
+            v |= (1 << end) - (1 << known)
+            known = end
+        full = (1 << known) - 1
+        for u in b[i : i + STEP]:
+            x = at.get(u)
+            if x is not None:
+                x &= v
+                v = (v + x | v - x) & full
+        if known - v.bit_count() + n - min(n, i + STEP) < least:
+            return False
+    return known - v.bit_count() >= least
 
 
 class Stream:
@@ -134,8 +166,8 @@ def marks_of(hashes: np.ndarray, mean: int) -> np.ndarray:
         at = np.flatnonzero(inner)
         pairs[at] = (hashes[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[at + 1] * np.uint64(0xC2B2AE3D27D4EB4F))
     both = np.stack([hashes, pairs], axis=1)
-    sums = np.add.reduceat(np.unpackbits(both.view(np.uint8), axis=1), starts, axis=0, dtype=np.uint16)
-    sums = sums[:, :64] + sums[:, 64:]
+    sums = np.add.reduceat(SPREAD[both.view(np.uint8)], starts, axis=0).view(np.uint8)  # bytes do: a passage has at most 4 x mean units
+    sums = sums[:, :64].astype(np.uint16) + sums[:, 64:]
     return np.packbits(sums > (ends - starts)[:, None], axis=1).view(np.int64).ravel()
 
 
@@ -144,13 +176,22 @@ def runs_of(hashes: np.ndarray, script: int = SPACED) -> set[int]:
     kept = set()
     for width, sample, least, most in RUNS[script]:
         if least <= len(hashes) <= most:
-            kept.update(np.unique(shingles(hashes, width))[:sample].view(np.int64).tolist())
+            kept.update(smallest(shingles(hashes, width), sample).view(np.int64).tolist())
     return kept
 
 
+def smallest(values: np.ndarray, n: int) -> np.ndarray:
+    """The n smallest different values in order."""
+    if len(values) > 8 * n:
+        low = np.unique(np.partition(values, 2 * n)[: 2 * n])  # holds all copies but of its largest
+        if len(low) >= n:
+            return low[:n]
+    return np.unique(values)[:n]
+
+
 def script_of(words: list[str]) -> int:
     """Kind of script of most units."""
-    single = "".join(w for w in words if len(w) == 1 and not w.isascii())
+    single = "".join([w for w in words if len(w) == 1 and not w.isascii()])
     if len(single) * 2 <= len(words):
         return SPACED
     return LETTERS if 2 * sum("\u0e00" <= c <= "\u0e7f" for c in single) > len(single) else IDEOGRAPHS
@@ -236,6 +277,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return step
 
+    # a pair takes far more time than its bytes tell, so small shuffles aren't joined into few tasks; pairs of one body stay together
+    full = full.repartition(max(PARTS, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "b")
     kind = dict(texts.dtypes)["rec_id"]
     return map_rows(full.select("a", "b", "_x", "_y"), f"a {kind}, b {kind}", make)
 

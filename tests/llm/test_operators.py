@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
-from tesserine.llm.history import accept, fingerprint, repeats, similar
+from tesserine.llm.history import accept, fingerprint, kept_in_order, repeats, similar
 from tesserine.llm.fingerprints import normal, units
 from tesserine.llm.languages import label_code, languages, missing_labels, train
 from tesserine.llm.leakage import leaks
@@ -247,3 +247,28 @@ def test_menu_of_any_length_is_page(spark):
     rows = [(k, f"https://h{k % 4}.example/{k}", f"{menu}\n\n{prose(rng, 400)}.\n\n{prose(rng, 400)}.", None) for k in range(60)]
     sources = spark.createDataFrame(rows, "rec_id long, url string, content string, provenance struct<requested_url:string,resolved_url:string,extracted_url:string>")
     assert len(menu) > 600 and [r["chrome"] for r in main_bodies(sources).collect()] == [[1]] * 60
+
+
+def test_unlike_bodies_are_told_early_and_alike_ones_exactly():
+    rng = random.Random(16)
+    both = set()
+    for _ in range(3000):
+        a = [rng.randrange(rng.choice((3, 30, 300))) for _ in range(rng.randrange(1, 200))]
+        b = a[rng.randrange(1 + len(a) // 5) :]
+        for at in rng.sample(range(len(b)), rng.randrange(1 + len(b) // 4)):
+            b[at] = -1
+        b[len(b) // 2 : len(b) // 2] = [rng.randrange(30) for _ in range(rng.randrange(1 + len(a) // 6))]
+        want = kept_in_order(a, b) >= 0.8 * max(len(a), len(b))
+        assert similar(a, b) is want and similar(b, a) is want
+        both.add(want)
+    assert both == {True, False}
+
+    class Unit(int):
+        looked = 0
+
+        def __hash__(self):
+            Unit.looked += 1
+            return int.__hash__(self)
+
+    a, b = list(range(2000)), [Unit(k) for k in rng.sample(range(2000), 2000)]
+    assert not similar(a, b) and Unit.looked < 1500  # before, all 2,000 were looked up
