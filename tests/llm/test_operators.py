@@ -9,7 +9,7 @@ from tesserine.llm.chunking import chunk
 from tesserine.llm.history import accept, fingerprint, kept_in_order, repeats, similar
 from tesserine.llm.fingerprints import normal, units
 from tesserine.llm.languages import label_code, languages, missing_labels, train
-from tesserine.llm.leakage import leaks
+from tesserine.llm.leakage import leaks, within
 from tesserine.llm.mixing import mix, shares
 from tesserine.llm.residue import residue
 from tesserine.llm.sentences import sentences
@@ -272,3 +272,33 @@ def test_unlike_bodies_are_told_early_and_alike_ones_exactly():
 
     a, b = list(range(2000)), [Unit(k) for k in rng.sample(range(2000), 2000)]
     assert not similar(a, b) and Unit.looked < 1500  # before, all 2,000 were looked up
+
+
+def test_edited_items_are_found_with_edits(spark):
+    rng = random.Random(17)
+    rows, items = [], []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        items.append((k, "en", " ".join(words)))
+        words[4::5] = [f"x{rng.randrange(10**6)}" for _ in words[4::5]]  # no six words stay
+        rows += [(k, "a b " + " ".join(words) + " c"), (100 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)))]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, lang string, text string")
+    assert leaks(docs, table).count() == 0
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(docs, table, edits=2).collect()}
+    assert got == {(k, k) for k in range(20)}
+
+
+def test_edit_distance_of_stretches():
+    rng = random.Random(18)
+    for _ in range(2000):
+        window, text = tuple(rng.choices("abc", k=rng.randrange(1, 9))), rng.choices("abc", k=rng.randrange(12))
+        row = list(range(len(window) + 1))
+        best = row[-1]
+        for u in text:
+            new = [0]
+            for i, w in enumerate(window):
+                new.append(min(row[i] + (w != u), row[i + 1] + 1, new[i] + 1))
+            row = new
+            best = min(best, row[-1])
+        for edits in range(4):
+            assert within(window, text, edits) is (best <= edits)
