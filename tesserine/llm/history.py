@@ -56,8 +56,6 @@ STEP = 32
 SMALL, SHARE = 24, 1_000
 #: Bodies a task of the verification keeps at hand, with some 40 KB each.
 STREAMS = 5_000
-#: Tasks of a verification at least.
-PARTS = 64
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -277,8 +275,6 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return step
 
-    # a pair takes far more time than its bytes tell, so small shuffles aren't joined into few tasks; pairs of one body stay together
-    full = full.repartition(max(PARTS, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "b")
     kind = dict(texts.dtypes)["rec_id"]
     return map_rows(full.select("a", "b", "_x", "_y"), f"a {kind}, b {kind}", make)
 
