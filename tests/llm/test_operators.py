@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.chunking import chunk
 from tesserine.llm.history import accept, fingerprint, kept_in_order, repeats, similar
-from tesserine.llm.fingerprints import normal, units
+from tesserine.llm.fingerprints import Units, normal, units
 from tesserine.llm.languages import label_code, languages, missing_labels, train
 from tesserine.llm.leakage import leaks, within
 from tesserine.llm.mixing import mix, shares
@@ -302,3 +302,33 @@ def test_edit_distance_of_stretches():
             best = min(best, row[-1])
         for edits in range(4):
             assert within(window, text, edits) is (best <= edits)
+
+
+def test_all_copies_of_residue_are_found(spark):
+    rng = random.Random(19)
+    rows = []
+    for k in range(200):
+        filler = [f"placeholder {prose(rng, 9)}." for _ in range(8)]
+        edited = [*filler[:4], filler[4].replace("placeholder", "changed"), *filler[5:]]  # a shingle similarity of 71 / 81
+        rows += [(2 * k, " ".join(filler)), (2 * k + 1, " ".join(edited))]
+    words = " ".join(f"placeholder {prose(rng, 9)}." for _ in range(3)).split()
+    for k in range(12):  # each is the copy of the one before, and 1.2 times as long
+        rows.append((1000 + k, " ".join(words)))
+        words += prose(rng, len(words) // 6).split()
+    rows.append((2000, prose(rng, 80)))
+    table = spark.createDataFrame([(k, t, False) for k, t in rows], "rec_id long, body string, marked boolean")
+    got = {r["rec_id"]: r["reason"] for r in residue(table).collect()}
+    assert got == {k: "copy of residue" if k > 1000 or k < 1000 and k % 2 else "notice or filler" for k, _ in rows if k < 2000}
+
+
+def test_units_as_arrays_equal_units_as_words():
+    rng = random.Random(20)
+    known, back = {}, {}
+    ranges = [(32, 127), (32, 0x500), (0x900, 0xF00), (0x3000, 0x3200), (0x4E00, 0x4E80), (0x1F300, 0x1F700), (0x20000, 0x20040), (95, 96), (0xD800, 0xD801)]
+    for _ in range(1000):
+        text = normal("".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(60))))
+        words, found = units(text), Units(text)
+        assert [len(w) for w in words] == found.lengths().tolist() and [ord(w[0]) for w in words] == found.first.tolist()
+        assert "".join(words).encode("utf-32-le", "surrogatepass") == found.letters()
+        for w, h in zip(words, found.hashes.tolist(), strict=True):
+            assert known.setdefault(w, h) == h and back.setdefault(h, w) == w
