@@ -332,3 +332,24 @@ def test_units_as_arrays_equal_units_as_words():
         assert "".join(words).encode("utf-32-le", "surrogatepass") == found.letters()
         for w, h in zip(words, found.hashes.tolist(), strict=True):
             assert known.setdefault(w, h) == h and back.setdefault(h, w) == w
+
+
+PAGE = "rec_id long, url string, content string, provenance struct<requested_url:string,resolved_url:string,extracted_url:string>"
+
+
+def test_pages_of_a_host_in_different_tasks_are_aligned(spark):
+    rng = random.Random(21)
+    rows = [
+        (20 * part + k, f"https://h{k}.example/{part}", f"Rooms of {chr(97 + k)}\nShelf {chr(97 + k)}\n\n{prose(rng, 40)}.\n\n{prose(rng, 40)}.\n\nImprint {chr(97 + k)} | Desk {chr(97 + k)}", None)
+        for part in range(4)
+        for k in range(20)
+    ]
+    sources = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), PAGE)  # a task has one page of each host
+    assert [r["chrome"] for r in main_bodies(sources).collect()] == [[1, 2, 8]] * 80
+
+
+def test_lines_of_copies_of_one_text_are_no_page(spark):
+    rng = random.Random(22)
+    line, copied = "a line that copies of one text share", prose(rng, 60)
+    rows = [(k, f"https://h.example/{k}", f"{copied if k >= 10 else prose(rng, 60)}.\n\n{prose(rng, 20)}.\n\n{line}", None) for k in range(60)]
+    assert [r["chrome"] for r in main_bodies(spark.createDataFrame(rows, PAGE).coalesce(1)).collect()] == [[]] * 60
