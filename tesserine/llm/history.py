@@ -24,11 +24,11 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm.arrow import map_rows
-from tesserine.llm.fingerprints import SPREAD, Hasher, hamming, normal, shingles, units, wide_simhash
+from tesserine.llm.fingerprints import Units, hamming, normal, shingles, wide_simhash
 from tesserine.runtime import exists, materialise
 
 #: Mean units of a passage: words, or characters of scripts without spaces.
@@ -164,7 +164,7 @@ def marks_of(hashes: np.ndarray, mean: int) -> np.ndarray:
         at = np.flatnonzero(inner)
         pairs[at] = (hashes[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[at + 1] * np.uint64(0xC2B2AE3D27D4EB4F))
     both = np.stack([hashes, pairs], axis=1)
-    sums = np.add.reduceat(SPREAD[both.view(np.uint8)], starts, axis=0).view(np.uint8)  # bytes do: a passage has at most 4 x mean units
+    sums = np.add.reduceat(np.unpackbits(both.view(np.uint8), axis=1).view(np.uint64), starts, axis=0).view(np.uint8)  # bytes do: a passage has at most 4 x mean units
     sums = sums[:, :64].astype(np.uint16) + sums[:, 64:]
     return np.packbits(sums > (ends - starts)[:, None], axis=1).view(np.int64).ravel()
 
@@ -187,12 +187,12 @@ def smallest(values: np.ndarray, n: int) -> np.ndarray:
     return np.unique(values)[:n]
 
 
-def script_of(words: list[str]) -> int:
+def script_of(words: Units) -> int:
     """Kind of script of most units."""
-    single = "".join([w for w in words if len(w) == 1 and not w.isascii()])
-    if len(single) * 2 <= len(words):
+    single = words.first[(words.lengths() == 1) & (words.first > 127)]
+    if len(single) * 2 <= len(words.hashes):
         return SPACED
-    return LETTERS if 2 * sum("\u0e00" <= c <= "\u0e7f" for c in single) > len(single) else IDEOGRAPHS
+    return LETTERS if 2 * int(((single >= 0x0E00) & (single <= 0x0E7F)).sum()) > len(single) else IDEOGRAPHS
 
 
 def keys_of(hashes: np.ndarray, script: int) -> list[int]:
@@ -210,18 +210,16 @@ def fingerprint(bodies: DataFrame) -> DataFrame:
     Bodies without letters or digits have none. Bodies of unlike script are never compared."""
 
     def make():
-        hasher = Hasher()
-
         def step(row):
             rec, batch, body = row
-            words = units(normal(body or ""))
-            if not words:
+            words = Units(normal(body or ""))
+            hashes = words.hashes
+            if not len(hashes):
                 return
-            hashes = hasher(words)
             script = script_of(words)
-            letters = xxhash.xxh3_64_intdigest("".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
+            letters = xxhash.xxh3_64_intdigest(words.letters()) - (1 << 63)
             sketch = wide_simhash(np.unique(shingles(hashes, GRAM[script])), SKETCH)
-            yield rec, batch, letters, len(words), script, sketch.tolist(), keys_of(hashes, script)
+            yield rec, batch, letters, len(hashes), script, sketch.tolist(), keys_of(hashes, script)
 
         return step
 
@@ -255,8 +253,6 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     full = pairs.join(hit.select(F.col("rec_id").alias("a"), F.col("body").alias("_x")), "a").join(hit.select(F.col("rec_id").alias("b"), F.col("body").alias("_y")), "b")
 
     def make():
-        hasher = Hasher()
-
         streams: dict = {}  # of bodies seen last in this task
 
         def stream(rec, text):
@@ -264,7 +260,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if found is None:
                 if len(streams) >= STREAMS:
                     streams.clear()
-                found = streams[rec] = Stream(hasher(units(normal(text or ""))))
+                found = streams[rec] = Stream(Units(normal(text or "")).hashes)
             return found
 
         def step(row):
@@ -293,10 +289,9 @@ def lookup(new: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     classes = materialise(firsts.select("exact", "f.*", "new"), "classes")
     entries = classes.select("rec_id", F.explode("keys").alias("key"))
     asked = classes.filter("new").select(F.explode("keys").alias("key")).distinct()
-    entries = materialise(entries.join(asked, "key", "left_semi"), "entries")
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = entries.join(asked, "key", "left_semi").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / KEPT))).cast("int")
-    rows = entries.join(counts, "key").join(classes.select("rec_id", "size", "script", "sketch", "new"), "rec_id")
+    rows = entries.join(classes.select("rec_id", "size", "script", "sketch", "new"), "rec_id")
     rows = materialise(rows.withColumn("band", F.when(F.col("n") > SMALL, band).otherwise(0)), "blocks")
     differ = sum((hamming(F.col("ka")[i], F.col("kb")[i]) for i in range(1, SKETCH)), hamming(F.col("ka")[0], F.col("kb")[0]))
     bound = F.element_at(F.array(*map(F.lit, BITS)), F.col("ta") + 1)
