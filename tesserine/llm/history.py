@@ -56,6 +56,8 @@ STEP = 32
 SMALL, SHARE = 24, 1_000
 #: Bodies a task of the verification keeps at hand, with some 40 KB each.
 STREAMS = 5_000
+#: Least rows and columns of the grid of the verification, and the most tasks it is spread over.
+GRID, TASKS = 5, 20_000
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -250,29 +252,35 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     hits = pairs.select(F.col("a").alias("rec_id")).unionAll(pairs.select(F.col("b").alias("rec_id"))).distinct()
     hit = materialise(texts.join(hits, "rec_id", "left_semi").dropDuplicates(["rec_id"]), "hits")
-    full = pairs.join(hit.select(F.col("rec_id").alias("a"), F.col("body").alias("_x")), "a").join(hit.select(F.col("rec_id").alias("b"), F.col("body").alias("_y")), "b")
+    # pairs are dealt to the squares of a grid by both bodies, so a body is moved once for each square it is in, not for each pair
+    kind = dict(texts.dtypes)["rec_id"]
+    grid = max(GRID, math.ceil(hit.count() / (STREAMS / 2)))
+    square = F.pmod(F.hash("a"), F.lit(grid)) * grid + F.pmod(F.hash("b"), F.lit(grid))
+    pairs = pairs.select(square.alias("square"), "a", "b")
+    needed = pairs.select("square", F.col("a").alias("rec_id")).unionAll(pairs.select("square", F.col("b").alias("rec_id"))).distinct()
+    bodies = needed.join(hit, "rec_id").select("square", F.col("rec_id").alias("a"), F.lit(None).cast(kind).alias("b"), "body")
+    rows = bodies.unionAll(pairs.select("square", "a", "b", F.lit(None).cast("string").alias("body")))
+    rows = rows.repartition(min(grid * grid, TASKS), "square").sortWithinPartitions("square", F.col("b").isNotNull())
 
     def make():
-        streams: dict = {}  # of bodies seen last in this task
-
-        def stream(rec, text):
-            found = streams.get(rec)
-            if found is None:
-                if len(streams) >= STREAMS:
-                    streams.clear()
-                found = streams[rec] = Stream(Units(normal(text or "")).hashes)
-            return found
+        now, streams = None, {}  # the bodies of a square come before its pairs
 
         def step(row):
-            a, b, x, y = row
-            x, y = stream(a, x), stream(b, y)
+            nonlocal now
+            square, a, b, body = row
+            if square != now:
+                now = square
+                streams.clear()
+            if b is None:
+                streams[a] = Stream(Units(normal(body or "")).hashes)
+                return
+            x, y = streams[a], streams[b]
             if may_be_similar(x, y) and similar(x.hashes.tolist(), y.hashes.tolist()):
                 yield a, b
 
         return step
 
-    kind = dict(texts.dtypes)["rec_id"]
-    return map_rows(full.select("a", "b", "_x", "_y"), f"a {kind}, b {kind}", make)
+    return map_rows(rows, f"a {kind}, b {kind}", make)
 
 
 def lookup(new: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
