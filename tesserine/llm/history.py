@@ -23,12 +23,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserine.llm.arrow import map_rows
-from tesserine.llm.fingerprints import Units, hamming, normal, shingles, wide_simhash
+from tesserine.llm.arrow import map_columns, map_rows
+from tesserine.llm.fingerprints import Texts, Units, grouped, hamming, normal, shingles, wide_simhash, wide_simhashes, windows
 from tesserine.runtime import exists, materialise
 
 #: Mean units of a passage: words, or characters of scripts without spaces.
@@ -42,6 +43,8 @@ RUNS = (
     ((2, 24, 0, 6), (5, 56, 5, 72), (9, 48, 58, 300), (14, 56, 240, 1 << 40)),
     ((2, 24, 0, 6), (5, 56, 5, 72), (12, 56, 58, 300), (20, 56, 240, 1 << 40)),
 )
+#: Units of a body from which it is fingerprinted together with others; more than any run has.
+LEAST = 32
 #: Passages kept of a body, those with the smallest mixed fingerprints.
 PASSAGES = 8
 #: 64-bit words of a sketch; by script, the units of its features (different runs of so many), and the most bits by which
@@ -140,13 +143,17 @@ def may_be_similar(x: Stream, y: Stream) -> bool:
 
 def passages(hashes: np.ndarray, mean: int) -> list[int]:
     """Where the content-defined pieces of a stream of hashed units begin; they have about `mean` units."""
-    n = len(hashes)
+    return _pieces((np.flatnonzero(hashes % np.uint64(mean) == 0) + 1).tolist(), len(hashes), mean)
+
+
+def _pieces(cuts: list[int], n: int, mean: int) -> list[int]:
     starts, start = [0], 0
-    for cut in (np.flatnonzero(hashes % np.uint64(mean) == 0) + 1).tolist():
+    half = mean // 2
+    for cut in cuts:
         while cut - start > 4 * mean:
             start += 2 * mean
             starts.append(start)
-        if cut - start >= mean // 2 and n - cut >= mean // 2:
+        if cut - start >= half and n - cut >= half:
             starts.append(cut)
             start = cut
     while n - start > 4 * mean:
@@ -157,7 +164,10 @@ def passages(hashes: np.ndarray, mean: int) -> list[int]:
 
 def marks_of(hashes: np.ndarray, mean: int) -> np.ndarray:
     """Signed 64-bit fingerprints of all passages: for each bit the majority over their units and pairs of units."""
-    starts = np.array(passages(hashes, mean))
+    return _marks(hashes, np.array(passages(hashes, mean)))
+
+
+def _marks(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ends = np.append(starts[1:], len(hashes))
     pairs = hashes.copy()  # the last unit of a passage stands alone
     with np.errstate(over="ignore"):
@@ -206,27 +216,132 @@ def keys_of(hashes: np.ndarray, script: int) -> list[int]:
     return sorted({*low.view(np.int64).tolist(), *high.view(np.int64).tolist(), *runs_of(hashes, script)})
 
 
+class _Lists:
+    """Lists of numbers, one after the other: values and offsets."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray):
+        self.values, self.offsets = values, offsets
+
+    def only(self, wanted: np.ndarray) -> _Lists:
+        """The lists that are wanted (a mask)."""
+        if wanted.all():
+            return self
+        sizes = np.diff(self.offsets)
+        return _Lists(self.values.compress(np.repeat(wanted, sizes)), _offsets(sizes[wanted]))
+
+    def different(self, most: int | None = None) -> _Lists:
+        """The different values of each list in order, at most so many of the smallest. The values are sorted in place."""
+        at = self.offsets.tolist()
+        for a, b in zip(at, at[1:]):
+            self.values[a:b].sort()
+        new = np.ones(len(self.values), bool)
+        np.not_equal(self.values[1:], self.values[:-1], out=new[1:])
+        new[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(new)])
+        sizes = np.diff(upto[self.offsets])
+        values = self.values.compress(new)
+        if most is None:
+            return _Lists(values, _offsets(sizes))
+        rank = np.arange(len(values)) - np.repeat(_offsets(sizes)[:-1], sizes)
+        return _Lists(values.compress(rank < most), _offsets(np.minimum(sizes, most)))
+
+    def smallest(self, n: int) -> _Lists:
+        """smallest() of each list."""
+        sizes = np.diff(self.offsets)
+        likely = np.minimum(1.0, (2 * n + 24) / np.maximum(sizes, 1))  # of evenly spread hashes
+        bound = np.where(likely < 1, (likely * float(1 << 62)).astype(np.uint64) << np.uint64(2), np.uint64((1 << 64) - 1))
+        low = self.values <= np.repeat(bound, sizes)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(low)])
+        found = _Lists(self.values.compress(low), upto[self.offsets]).different(n)
+        short = (np.diff(found.offsets) < n) & (likely < 1)
+        if not short.any():
+            return found
+        parts = [smallest(self.values[self.offsets[k] : self.offsets[k + 1]], n) if short[k] else found.values[found.offsets[k] : found.offsets[k + 1]] for k in range(len(sizes))]
+        return _Lists(np.concatenate(parts), _offsets(np.array([len(p) for p in parts])))
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
+
+def sketches_and_keys(streams: _Lists, script: int) -> tuple[np.ndarray, _Lists]:
+    """Sketches and keys_of() of streams of hashed units of one script, each of LEAST units or more."""
+    hashes, offsets = streams.values, streams.offsets
+    sizes = np.diff(offsets)
+    grams = _Lists(*windows(hashes, offsets, GRAM[script])).different()
+    sketch = wide_simhashes(grams.values, grams.offsets, SKETCH)
+    mean = WORDS if script == SPACED else CHARACTERS
+    cuts = np.flatnonzero(hashes % np.uint64(mean) == 0)
+    at = np.searchsorted(cuts, offsets).tolist()
+    cuts = (cuts + 1).tolist()
+    starts, counts = [], []
+    for a, b, lo, hi in zip(at, at[1:], offsets.tolist(), offsets[1:].tolist()):
+        pieces = _pieces([c - lo for c in cuts[a:b]], hi - lo, mean)
+        counts.append(len(pieces))
+        starts += [lo + p for p in pieces]
+    marks = _Lists(_marks(hashes, np.array(starts)).view(np.uint64) * np.uint64(_MIX), _offsets(np.array(counts))).different(PASSAGES)
+    values = marks.values * np.uint64(pow(_MIX, -1, 1 << 64))
+    owners = np.repeat(np.arange(len(sizes)), np.diff(marks.offsets))
+    found = [(values & np.uint64(0xFFFFFFFF), owners), ((values >> np.uint64(32)) | np.uint64(1 << 32), owners)]
+    for width, sample, least, most in RUNS[script]:
+        wanted = (sizes >= least) & (sizes <= most)
+        if wanted.any():
+            some = streams.only(wanted)
+            runs = _Lists(*windows(some.values, some.offsets, width)).smallest(sample)
+            found.append((runs.values, np.repeat(np.flatnonzero(wanted), np.diff(runs.offsets))))
+    owners = np.concatenate([o for _, o in found])
+    keys = np.concatenate([v for v, _ in found])[np.argsort(owners, kind="stable")].view(np.int64)
+    return sketch, _Lists(keys, _offsets(np.bincount(owners, minlength=len(sizes)))).different()
+
+
+def prints_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Numbers of the texts that have units, and of these exact, size, script, sketch, keys and where the keys of each begin and end."""
+    words = Texts(texts)
+    sizes = np.diff(words.offsets)
+    rows = np.flatnonzero(sizes)
+    letters = words.letters()
+    exact = np.array([xxhash.xxh3_64_intdigest(letters[k]) - (1 << 63) for k in rows.tolist()], np.int64)
+    streams = _Lists(words.hashes, words.offsets).only(sizes > 0)
+    sizes = sizes[rows]
+    single = (words.lengths() == 1) & (words.first > 127)
+    thai = single & (words.first >= 0x0E00) & (words.first <= 0x0E7F)
+    single, thai = (np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(x)])[streams.offsets]) for x in (single, thai))
+    script = np.where(single * 2 <= sizes, SPACED, np.where(2 * thai > single, LETTERS, IDEOGRAPHS))
+    sketch = np.zeros((len(rows), SKETCH), np.int64)
+    keys: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
+    for kind in np.unique(script).tolist():
+        wanted = (script == kind) & (sizes >= LEAST)
+        if wanted.any():
+            sketch[wanted], found = sketches_and_keys(streams.only(wanted), kind)
+            for k, a, b in zip(np.flatnonzero(wanted).tolist(), found.offsets.tolist(), found.offsets[1:].tolist()):
+                keys[k] = found.values[a:b]
+    for k in np.flatnonzero(sizes < LEAST).tolist():
+        hashes = streams.values[streams.offsets[k] : streams.offsets[k + 1]]
+        sketch[k] = wide_simhash(np.unique(shingles(hashes, GRAM[script[k]])), SKETCH)
+        keys[k] = np.array(keys_of(hashes, script[k]), np.int64)
+    return rows, exact, sizes, script, sketch, np.concatenate(keys) if keys else np.zeros(0, np.int64), _offsets(np.array([len(k) for k in keys], np.int64))
+
+
 def fingerprint(bodies: DataFrame) -> DataFrame:
     """Fingerprints of bodies (rec_id, batch_no, body): rec_id, batch_no, exact (hash of the normal body), size (units),
     script (of most of them), sketch (SKETCH longs), keys (entries of the block tables).
     Bodies without letters or digits have none. Bodies of unlike script are never compared."""
 
     def make():
-        def step(row):
-            rec, batch, body = row
-            words = Units(normal(body or ""))
-            hashes = words.hashes
-            if not len(hashes):
-                return
-            script = script_of(words)
-            letters = xxhash.xxh3_64_intdigest(words.letters()) - (1 << 63)
-            sketch = wide_simhash(np.unique(shingles(hashes, GRAM[script])), SKETCH)
-            yield rec, batch, letters, len(hashes), script, sketch.tolist(), keys_of(hashes, script)
+        def step(columns):
+            recs, batches, texts = columns
+            texts = [t or "" for t in texts.to_pylist()]
+            for lo, hi in grouped(texts):
+                rows, exact, sizes, script, sketch, keys, ends = prints_of(texts[lo:hi])
+                if len(rows):
+                    at = pa.array(lo + rows)
+                    lists = (pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v)) for o, v in ((np.arange(0, SKETCH * len(rows) + 1, SKETCH), sketch.ravel()), (ends, keys)))
+                    yield [recs.take(at), batches.take(at), pa.array(exact), pa.array(sizes), pa.array(script), *lists]
 
         return step
 
     kinds = dict(bodies.dtypes)
-    return map_rows(bodies.select("rec_id", "batch_no", "body"), f"rec_id {kinds['rec_id']}, batch_no {kinds['batch_no']}, exact long, size int, script int, sketch array<long>, keys array<long>", make, flush=4_000)
+    return map_columns(bodies.select("rec_id", "batch_no", "body"), f"rec_id {kinds['rec_id']}, batch_no {kinds['batch_no']}, exact long, size int, script int, sketch array<long>, keys array<long>", make)
 
 
 def append(folder: str, prints: DataFrame) -> None:
