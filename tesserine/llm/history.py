@@ -21,6 +21,7 @@ may be, large blocks in bands of length and in shares.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm.arrow import map_columns, map_rows
-from tesserine.llm.fingerprints import Texts, Units, grouped, hamming, normal, shingles, wide_simhash, wide_simhashes, windows
+from tesserine.llm.fingerprints import Texts, Units, grouped, hamming, shingles, wide_simhash, wide_simhashes, windows
 from tesserine.runtime import exists, materialise
 
 #: Mean units of a passage: words, or characters of scripts without spaces.
@@ -122,8 +123,11 @@ class Stream:
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
         self.singles = self._counts(hashes >> np.uint64(52))
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
         with np.errstate(over="ignore"):
-            self.pairs = self._counts((hashes[:-1] * np.uint64(_MIX) + hashes[1:]) >> np.uint64(52))
+            return self._counts((self.hashes[:-1] * np.uint64(_MIX) + self.hashes[1:]) >> np.uint64(52))
 
     @staticmethod
     def _counts(buckets: np.ndarray) -> np.ndarray:
@@ -367,10 +371,11 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     hits = pairs.select(F.col("a").alias("rec_id")).unionAll(pairs.select(F.col("b").alias("rec_id"))).distinct()
     hit = materialise(texts.join(hits, "rec_id", "left_semi").dropDuplicates(["rec_id"]), "hits")
-    # pairs are dealt to the squares of a grid by both bodies, so a body is moved once for each square it is in, not for each pair
+    # pairs are dealt to the squares of a grid by both bodies, in either order, so a body is moved once for each square of its row, not for each pair
     kind = dict(texts.dtypes)["rec_id"]
     grid = max(GRID, math.ceil(hit.count() / (STREAMS / 2)))
-    square = F.pmod(F.hash("a"), F.lit(grid)) * grid + F.pmod(F.hash("b"), F.lit(grid))
+    x, y = (F.pmod(F.hash(c), F.lit(grid)) for c in ("a", "b"))
+    square = F.least(x, y) * grid + F.greatest(x, y)
     pairs = pairs.select(square.alias("square"), "a", "b")
     needed = pairs.select("square", F.col("a").alias("rec_id")).unionAll(pairs.select("square", F.col("b").alias("rec_id"))).distinct()
     bodies = needed.join(hit, "rec_id").select("square", F.col("rec_id").alias("a"), F.lit(None).cast(kind).alias("b"), "body")
@@ -378,7 +383,15 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.repartition(min(grid * grid, TASKS), "square").sortWithinPartitions("square", F.col("b").isNotNull())
 
     def make():
-        now, streams = None, {}  # the bodies of a square come before its pairs
+        now, streams, bodies = None, {}, {}  # the bodies of a square come before its pairs
+
+        def read():
+            """Streams of the bodies met so far, of many at once."""
+            for lo, hi in grouped(texts := list(bodies.values())):
+                words = Texts(texts[lo:hi])
+                at = words.offsets.tolist()
+                streams.update((rec, Stream(words.hashes[a:b])) for rec, a, b in zip(list(bodies)[lo:hi], at, at[1:]))
+            bodies.clear()
 
         def step(row):
             nonlocal now
@@ -386,9 +399,12 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if square != now:
                 now = square
                 streams.clear()
+                bodies.clear()
             if b is None:
-                streams[a] = Stream(Units(normal(body or "")).hashes)
+                bodies[a] = body or ""
                 return
+            if bodies:
+                read()
             x, y = streams[a], streams[b]
             if may_be_similar(x, y) and similar(x.hashes.tolist(), y.hashes.tolist()):
                 yield a, b

@@ -6,7 +6,9 @@ import numpy as np
 import xxhash
 
 from tesserine.llm.fingerprints import Texts, Units, grouped, normal, shingles, wide_simhash
-from tesserine.llm.history import GRAM, SKETCH, keys_of, prints_of, script_of
+from tesserine.llm.history import GRAM, SKETCH, _verify, keys_of, prints_of, script_of
+from tesserine.llm.wrappers import _SENTENCE
+from tesserine.llm.wrappers import sentences as page_sentences
 
 TEXTS = [
     "", " \n", "a", "Straße İstanbul ŉ ﬁ ΐ ½ ™ … ´", "Ｆｕｌｌ－ｗｉｄｔｈ　ｶﾞ ㄱㅏ 각", "𝒳𝒴 𠀀𠮷 \U0002f800", "Á́é x " * 40, "กำ น้ำ ก็ " * 60, "中文，字。" * 90, "\x00 \n\n b" * 30,
@@ -41,3 +43,20 @@ def test_prints_at_once_equal_single_ones():
             assert keys[ends[i] : ends[i + 1]].tolist() == keys_of(words.hashes, kind)
             met.add(k)
     assert met == {k for k, t in enumerate(texts) if any(map(str.isalnum, t))}
+
+
+def test_sentences_of_pages_equal_the_split():
+    rng = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(rng.choices(".!?؟。！？। \n\taé中", k=rng.randrange(12)))
+        assert page_sentences(text) == _SENTENCE.split(text), ascii(text)
+
+
+def test_bodies_of_a_square_are_moved_once_for_pairs_in_either_order(spark):
+    rng = random.Random(8)
+    base = [rng.choices(range(500), k=80) for _ in range(30)]
+    texts = [" ".join(f"w{x}" for x in (b if copy == 0 else b[:70] + b[75:])) for copy in (0, 1) for b in base]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rec_id long, body string")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(60) if a != b], "a long, b long")
+    found = {(r["a"], r["b"]) for r in _verify(pairs, rows).collect()}
+    assert found == {(a, b) for a in range(60) for b in range(60) if abs(a - b) == 30}
